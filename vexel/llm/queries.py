@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import near_dedup, quality_rules, substring_dedup, token_counts
+from vexel.llm import bpe_codec, near_dedup, quality_rules, substring_dedup, token_counts, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = token_shards.write_texts(_table(spark, sf_dir, "documents"))
+    return index
+
+
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = bpe_codec.publish(spark, bpe_codec.compile_words(bpe_codec.frequent(docs)))
+    return bpe_codec.decode(bpe_codec.encode(docs, lexicon=lexicon))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +43,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_near_dedup, op6_substring_dedup, op8_quality_rules, op9_token_counts)}
+    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op6_substring_dedup, op8_quality_rules, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
