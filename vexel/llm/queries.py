@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import bpe_codec, near_dedup, quality_rules, substring_dedup, token_counts, token_shards
+from vexel.llm import bpe_codec, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,9 +42,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.Ledger(spark))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op6_substring_dedup, op8_quality_rules, op9_token_counts)}
+    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op6_substring_dedup, op8_quality_rules, op9_token_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_secret_scan": secret_scan.oracle()}
