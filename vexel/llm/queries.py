@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import bpe_codec, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
+from vexel.llm import bpe_codec, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(token_counts.count(_table(spark, sf_dir, "documents")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.spans(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op6_substring_dedup, op8_quality_rules, op9_token_counts, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op5_packing, op6_substring_dedup, op8_quality_rules, op9_token_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
