@@ -73,8 +73,11 @@ def test_lexicon_is_minimal_and_finds_its_words(tmp_path):
 
 def test_encode_with_and_without_lexicon_then_decode(spark):
     df = spark.createDataFrame([*enumerate(TEXTS), (None, "a b"), (0, TEXTS[0])], "doc_id bigint, text string").repartition(2)
+    counted = {bytes(r.word): r.n for r in bpe_codec.counts(df).collect()}
     words = bpe_codec.frequent(df, size=50)
-    assert len(words) == 50
+    assert 0 < len(words) <= 50
+    assert set(words) == {w for w, n in counted.items() if n >= min(counted[w] for w in words)}
+    assert sorted(bpe_codec.frequent(df)) == sorted(counted)
     name = bpe_codec.publish(spark, bpe_codec.compile_words(words))
     for lexicon in (None, name):
         for r in bpe_codec.decode(bpe_codec.encode(df, lexicon=lexicon)).collect():

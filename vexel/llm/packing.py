@@ -38,7 +38,7 @@ from vexel.llm.tables import kept
 
 CAPACITY = 2048
 #: Share of a count that one round covers at most; rate of the weights; how far below the best a configuration may be; rounds.
-STEP, ETA, SLACK, ROUNDS = 0.25, 4.0, 0.95, 160
+STEP, ETA, SLACK, ROUNDS = 0.1, 4.0, 0.95, 250
 #: Pieces of one length that one window ranks; more are split by hash.
 RANKED = 5_000_000
 RESULT = "bin_id bigint, offset bigint, doc_id bigint, piece bigint, start bigint, n_tokens bigint"
