@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.tables import new_folder
+from vexel.llm.tables import kept, new_folder
 
 #: Patterns of credentials by their published forms. Character classes are ASCII, so other engines agree.
 RULES = {
@@ -83,9 +83,9 @@ class Ledger:
 
 
 def matches(texts: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """blob, rule, at and match in each row of (blob, text)."""
+    """blob, rule, at and match in each row of (blob, text, nth); nth is a number from 0."""
     # One pass tells which rows hold anything; only those are searched rule by rule.
-    some = texts.where(F.col("text").rlike("|".join(f"(?:{p})" for p in rules.values())))
+    some = texts.where(F.col("text").rlike("|".join(f"(?:{p})" for p in rules.values())) | (F.col("nth") < 0))
     each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.regexp_extract_all("text", F.lit(f"({p})"), 1).alias("hits"), F.split("text", p, -1).alias("gaps")) for rule, p in rules.items()])
     one = some.select("blob", F.explode(each).alias("r")).where(F.size("r.hits") > 0).select("blob", "r.rule", "r.hits", F.transform("r.gaps", lambda x: F.length(x)).alias("gaps"))
     hit = one.select("blob", "rule", F.posexplode("hits").alias("k", "match"), "hits", "gaps")
@@ -97,12 +97,17 @@ def scan(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str
     """Findings of every version in docs; the ledger has all their blobs afterwards."""
     version = rules_version(rules)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    versions = texts.select("doc_id", F.sha2("text", 256).alias("blob"))
+    versions = kept(texts.select("doc_id", F.sha2("text", 256).alias("blob")), "versions")
     seen = ledger.scanned().where(F.col("rules_version") == version).select("blob")
     # A blob is read where it stands under its least id; rows of equal id and blob are one by the last distinct.
-    fresh = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left_anti")
-    here = fresh.select(F.col("doc_id").alias("__doc"), F.col("blob").alias("__blob"))
-    due = texts.join(here, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select(F.sha2("text", 256).alias("blob"), "text")
+    fresh = kept(versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left_anti"), "unseen")
+    here = fresh.select(F.col("doc_id").alias("__doc")).distinct()
+    rest = versions.select(F.col("doc_id").alias("__doc")).distinct().join(here.withColumnRenamed("__doc", "__here"), F.col("__doc").eqNullSafe(F.col("__here")), "left_anti")
+    # Documents are picked by the shorter of two lists that say the same, so that a short one can be broadcast.
+    few = here.count() <= rest.count()
+    due = texts.join(here if few else rest, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi" if few else "left_anti")
+    # Numbering keeps the optimiser from searching texts before the join has dropped those seen.
+    due = due.select(F.sha2("text", 256).alias("blob"), "text", F.monotonically_increasing_id().alias("nth"))
     known = fresh.select("blob", F.lit(version).alias("rules_version"))
     found = matches(due, rules).distinct().select("blob", F.lit(version).alias("rules_version"), "rule", F.col("at"), "match")
     ledger.append(known, found)
