@@ -9,8 +9,8 @@ the time and never the ids. ``decode`` joins the ids' bytes.
 Edge cases: a null text has null ids and a null id list decodes to null; an empty text has
 no ids. Strings of special tokens are ordinary text. Decoding ids that break a character
 gives U+FFFD there; an id outside the vocabulary raises ValueError. Rows are encoded one by
-one, so repeated rows and ties change nothing (equally frequent words enter the lexicon in
-the order of their bytes); an empty table gives an empty result and an empty lexicon. Texts
+one, so repeated rows and ties change nothing (equally frequent words enter the lexicon
+together); an empty table gives an empty result and an empty lexicon. Texts
 of any length are encoded whole. Only the id and text columns are read, so other columns
 cannot clash.
 """
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from vexel.llm.blocks import Block, blocks, spread
 from vexel.llm.bpe import DEFAULT_VOCABULARY, Vocabulary, merge, pretokens, vocabulary
 from vexel.llm.lexicon import Lexicon, opened
-from vexel.llm.tables import new_folder
+from vexel.llm.tables import kept, new_folder
 
 #: Words compiled into the lexicon: a matter of speed and of the file's size (about 25 MB).
 LEXICON_WORDS = 1 << 15
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,8 +53,18 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent(docs: DataFrame, text_col: str = "text", size: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words; the driver gets no more than size of them."""
-    return [bytes(r.word) for r in counts(docs, text_col).orderBy(F.desc("n"), "word").limit(size).collect()]
+    """The most frequent words, in the order of their bytes; the driver gets no more than size of them.
+
+    Equally frequent words enter together or not at all, so there can be fewer than size.
+    """
+    table = kept(counts(docs, text_col), "words")
+    least, total = None, 0
+    for n, words in sorted(map(tuple, table.groupBy("n").count().collect()), reverse=True):  # at most about sqrt(2 x words) rows
+        total += words
+        if total > size:
+            break
+        least = n
+    return sorted(bytes(r.word) for r in table.where(F.col("n") >= least).select("word").collect()) if least else []
 
 
 def compile_words(words: list[bytes], vocabulary_path: str = DEFAULT_VOCABULARY) -> Lexicon:
