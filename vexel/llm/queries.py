@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import bpe_codec, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
+from vexel.llm import bpe_codec, classifier, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.spans(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels"), {"quality": 1, "toxic": 0}))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op5_packing, op6_substring_dedup, op8_quality_rules, op9_token_counts, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op5_packing, op6_substring_dedup, op7_quality_classifier, op8_quality_rules, op9_token_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
