@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import bpe_codec, classifier, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
+from vexel.llm import ann, bpe_codec, classifier, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, _ = token_shards.write_texts(_table(spark, sf_dir, "documents"))
     return index
@@ -56,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_shards, op3_bpe_codec, op4_near_dedup, op5_packing, op6_substring_dedup, op7_quality_classifier, op8_quality_rules, op9_token_counts, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_token_shards, op3_bpe_codec, op4_near_dedup, op5_packing, op6_substring_dedup, op7_quality_classifier, op8_quality_rules, op9_token_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
