@@ -9,8 +9,11 @@ words add nothing; a text without known words has the zero vector.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
 from math import sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +24,28 @@ SEED = 42
 VOCABULARY = "tok_idx BIGINT, token STRING, entries ARRAY<STRUCT<dim: INT, val: FLOAT>>"
 
 
+def _draw(dims: int, seed: int, scale: float):
+    """Each word's non-zero cells: 32 bits of MD5 of seed, word and dimension, modulo 6; 0 is minus, 1 is plus."""
+    parts = [str(d).encode() for d in range(dims)]
+    sign = {0: -scale, 1: scale}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for token in batch.column(1).to_pylist():
+                begun = hashlib.md5(f"{seed}:{token}:".encode())
+                cells = []
+                for d, part in enumerate(parts):
+                    drawn = begun.copy()
+                    drawn.update(part)
+                    if (value := sign.get(int.from_bytes(drawn.digest()[:4]) % 6)) is not None:
+                        cells.append({"dim": d, "val": value})
+                out.append(cells)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.struct([("dim", pa.int32()), ("val", pa.float32())])))], ["tok_idx", "token", "entries"])
+
+    return run
+
+
 def _numbered(met: DataFrame) -> DataFrame:
     """met with tok_idx, each word's place by first appearance.
 
@@ -55,9 +80,7 @@ class RandomProjection:
         words = corpus.select(F.posexplode(tokenize(text_col)).alias("pos", "token")) if order_col is None else corpus.select(F.col(order_col).alias("at"), F.posexplode(tokenize(text_col)).alias("pos", "token"))
         first = F.struct("token") if order_col is None else F.struct("at", "pos")
         met = words.groupBy("token").agg(F.min(first).alias("first"))
-        cell = lambda d: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col("token"), d.cast("string"))), 1, 8), 16, 10).cast("bigint") % 6
-        drawn = F.transform(F.sequence(F.lit(0), F.lit(self._dims - 1)), lambda d: F.struct(d.alias("dim"), F.when(cell(d) == 0, -self.scale).when(cell(d) == 1, self.scale).cast("float").alias("val")))
-        self.vocabulary = _numbered(met).select("tok_idx", "token", F.filter(drawn, lambda e: e.val.isNotNull()).alias("entries"))
+        self.vocabulary = _numbered(met).select("tok_idx", "token").mapInArrow(_draw(self._dims, self.seed, self.scale), VOCABULARY)
         return self
 
     def _fitted(self) -> DataFrame:
