@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from vexel.llm.blocks import Block, blocks, mix, words
 from vexel.llm.tables import kept
 
-BUCKETS = 1 << 20
-FIT_ROWS = 16384
+#: Buckets; rows of the fit's sample, about; rows of labels up to which Spark is told to send them to the documents, beyond it both sides shuffle.
+BUCKETS, FIT_ROWS, BROADCAST_ROWS = 1 << 18, 8192, 1_000_000
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -102,7 +102,7 @@ def descend(starts: np.ndarray, index: np.ndarray, value: np.ndarray, sign: np.n
 def _labelled(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
     left = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("text"))
     right = labels.select(F.col(id_col).cast("bigint").alias("__id"), *[F.col(n).cast("int").alias(n) for n in names])
-    return left.join(right, "__id")
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, "__id")
 
 
 def _count(names: list[str], buckets: int):
@@ -173,14 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, wanted: dict[str, int], id_col: str
         ratio = np.log(positive / negative)
         truth = sample.column(k + 2).to_numpy(zero_copy_only=False)
         use = [i for i in order if truth[i] in (0, 1)]
-        parts = [flat[ends[i] - size[i] : ends[i]] for i in use]
-        values = []
-        for p in parts:
-            v = ratio[p]
-            norm = np.sqrt(v @ v)
-            values.append(v / norm if norm else v)
-        starts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        weight, bias = descend(starts, np.concatenate([*parts, np.zeros(0, np.int32)]), np.concatenate([*values, np.zeros(0)]), np.where(truth[use].astype(np.int64) == 1, 1.0, -1.0), buckets)
+        starts = np.concatenate(([0], np.cumsum(size[use], dtype=np.int64)))
+        index, value = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float32)
+        for at, i in zip(starts, use):
+            part = flat[ends[i] - size[i] : ends[i]]
+            v = ratio[part]
+            index[at : at + len(part)] = part
+            value[at : at + len(part)] = v / (np.sqrt(v @ v) or 1)
+        weight, bias = descend(starts, index, value, np.where(truth[use].astype(np.int64) == 1, 1.0, -1.0), buckets)
         heads.append(Head(ratio.astype(np.float32), weight.astype(np.float32), float(bias)))
     return Model(names, wanted, heads, buckets)
 
