@@ -33,7 +33,7 @@ from vexel.llm.near_dedup import runs
 from vexel.llm.tables import kept
 
 #: Neighbours of a node; random trees for the start and the vectors aimed at in a cell; closest that a visit hands on; rounds at most; share of new entries that ends them.
-K, TREES, CELL, START, OFFERS, ROUNDS, SETTLED = 40, 12, 1024, 16, 8, 4, 0.02
+K, TREES, CELL, START, OFFERS, ROUNDS, SETTLED = 56, 14, 1024, 16, 10, 4, 0.02
 #: Vectors of one cell that are compared with each other at once; larger cells are cut by id.
 CUT = 4096
 _ROW = "id bigint, code binary"
