@@ -52,6 +52,26 @@ def test_spans_equal_brute_force(spark):
         assert got == brute(rows, 50)
 
 
+def test_names_are_the_same_in_every_block(spark):
+    words = ["w%d" % i for i in range(90)]
+    texts = [" ".join(words), "one " * 7 + " ".join(words) + " tail" * 30]
+    names = []
+    for text, at in zip(texts, (0, 7)):
+        w = sd.words(next(blocks(pa.array([text]))))
+        names.append([x.tolist() for x in sd._names(w, at + np.arange(41), at + np.arange(41) + 50)])
+    assert names[0] == names[1]
+    # Adaptive execution would bring such a small table into one block.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for seed in (11, 12):
+            rows = corpus(seed)
+            df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+            found = sd.spans(df)
+            assert {(r.doc_id, r.start, r.end) for r in found.collect()} == brute(rows, 50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_first_places_hold_the_same_words(spark):
     rows = corpus(7)
     text = {d: (t or "").split() for d, t in rows if d is not None}

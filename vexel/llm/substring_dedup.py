@@ -74,22 +74,21 @@ def symbols(token: np.ndarray, row: np.ndarray, grain: int = GRAIN) -> tuple[np.
     return name, start, size, row
 
 
-def _sums(hashes: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    power = np.full(len(hashes) + 1, base, np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i in 0..n."""
+    power = np.full(n + 1, base, np.uint64)
     power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * power[:-1], out=sums[1:])
-    return sums, power
+    return np.cumprod(power, dtype=np.uint64)
 
 
 def _names(w: Words, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two independent names of stretches of words."""
-    out = []
+    """Two independent names of stretches of words: equal for equal words, in whatever block they stand."""
+    out, n = [], len(w.hash)
     for base, seed in ((_G1, _G2), (_G2, _G1)):
-        sums, power = _sums(mix(w.hash ^ seed), base)
-        top = len(power) - 1
-        out.append(mix((sums[ends] - sums[starts]) * power[top - starts] + (ends - starts).astype(np.uint64)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(w.hash ^ seed) * _powers(base, n)[:-1], out=sums[1:])
+        down = _powers(np.uint64(pow(int(base), -1, 1 << 64)), n)
+        out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
     return out
 
 
