@@ -38,6 +38,15 @@ def test_descent_recall(spark, points, monkeypatch):
     assert all(abs(r.cosine - unit[r.id] @ unit[r.neighbour]) < 1e-6 for r in rows)
 
 
+def test_recall_in_tight_clusters(spark, points, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 100)
+    centres = np.random.default_rng(4).normal(size=(2, 24))
+    tight = np.repeat(centres, 600, axis=0) + points * 0.05
+    assert np.median(ann.unpack_codes(ann.pack_codes(tight[:600])) @ ann.unpack_codes(ann.pack_codes(tight[:1])).T) > 0.99
+    rows = ann.neighbours(table(spark, tight), k=10).collect()
+    assert recall([(r.id, r.neighbour) for r in rows], truth(tight, 10)) >= 0.95
+
+
 def test_small_tables_are_exact(spark, points):
     rows = ann.neighbours(table(spark, points[:200]), k=10).collect()
     assert recall([(r.id, r.neighbour) for r in rows], truth(points[:200], 10)) == 1

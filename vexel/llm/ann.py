@@ -7,8 +7,9 @@ any list improves. ``search`` walks the graph for any queries, likewise by joins
 entry points each query visits the nearest nodes that it hasn't visited, a few a round,
 until its best are all visited.
 
-Similarity is the cosine. Vectors travel as bytes with one scale each (a quarter of their
-size); ``neighbours`` computes the final similarities from the vectors themselves.
+Similarity is the cosine. Vectors travel as unit vectors of 32-bit floats, whose products
+tell neighbours in tight clusters apart; ``neighbours`` computes the final similarities
+from the vectors themselves.
 
 Edge cases: null vectors, empty ones, those with a null, NaN or infinite entry, those of
 another dimension than most (of the least on a tie) and rows with a null id are left out.
@@ -44,21 +45,17 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def pack_codes(x: np.ndarray) -> pa.Array:
-    """Unit vectors as a float32 scale and a signed byte for each entry."""
+    """Unit vectors as the bytes of their float32 entries."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-    top = np.abs(x).max(axis=1, keepdims=True)
-    code = np.round(np.divide(x * 127, top, out=np.zeros_like(x), where=top > 0)).astype(np.int8)
-    raw = np.concatenate(((top / 127).astype("<f4").view(np.int8), code), axis=1)
-    width = raw.shape[1]
+    raw = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype("<f4")
+    width = raw.shape[1] * 4
     return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
 def unpack_codes(column: pa.Array) -> np.ndarray:
     n = len(column)
     where = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
-    raw = np.frombuffer(column.buffers()[2], np.int8)[where[0] : where[-1]].reshape(n, -1)
-    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return np.frombuffer(column.buffers()[2], np.uint8)[where[0] : where[-1]].view("<f4").reshape(n, -1)
 
 
 def clean(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -110,8 +107,8 @@ def _cells(trees: int, depth: int, dim: int, mean: np.ndarray):
                 continue
             side = ((unpack_codes(batch.column(1)) - mean) @ planes > 0).reshape(-1, trees, depth)
             cell = side @ (1 << np.arange(depth, dtype=np.int64)) + (np.arange(trees) << depth)
-            which = np.repeat(np.arange(batch.num_rows), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *(c.take(pa.array(which)) for c in batch.columns)], ["cell", "id", "code"])
+            for t in range(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cell[:, t])), *batch.columns], ["cell", "id", "code"])
 
     return run
 
