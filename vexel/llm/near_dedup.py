@@ -10,7 +10,10 @@ independent hashes; long documents need a level or two.
 Documents with equal signatures join at once, through the least id. The others meet in
 buckets of equal bands; within a bucket every pair is compared, apart from pairs that are
 connected already, and joined where the share of agreeing slots reaches the threshold.
-Groups are the connected components of all joins.
+With ``exact``, as in the query and the pipeline, signatures only choose candidates: pairs
+whose agreeing slots reach the threshold less a slack, apart from those that pairs far
+above it connect. They are joined if the Jaccard index of the elements themselves reaches
+the threshold. Groups are the connected components of all joins.
 
 Edge cases: null and empty texts, and those of white space only, have no elements and are
 in no group, nor are rows with a null id. Rows that share an id are one document. Group
@@ -31,6 +34,10 @@ from vexel.llm.blocks import Block, blocks, mix, words
 from vexel.llm.tables import components, kept
 
 SLOTS, BAND, SHINGLE, THRESHOLD = 128, 3, 3, 0.5
+#: Slots, of 128, by which candidates may fall short of the threshold (3.5 standard errors at 0.5), and by which pairs exceed it that spare others.
+SLACK, SURE = 20, 32
+#: Elements of pairs that are compared at once.
+MOST = 1 << 21
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -179,7 +186,78 @@ def _verify(need: int):
     return run
 
 
-def joins(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, shingle: int = SHINGLE) -> DataFrame:
+def candidates(sig: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Pairs that agree in `low` slots; of those inside a component of pairs that agree in `high`, what connects it."""
+    edges = forest(sig, high)
+    root = np.arange(len(sig))
+    for a, b in edges:
+        root[b] = root[a]
+    for r in np.unique(root):
+        rest = np.flatnonzero(root > r)
+        for i in np.flatnonzero(root == r) if len(rest) else ():
+            hit = np.concatenate([(sig[part] == sig[i]).sum(axis=1) >= low for part in np.array_split(rest, -(-len(rest) // 65536))])
+            edges += [(i, x) for x in rest[hit]]
+    return edges
+
+
+def _choose(low: int, high: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches):
+            keys, reps, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.append(first, len(keys)))
+            two = first[size == 2]
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= low]
+            a, b = [reps[two]], [reps[two + 1]]
+            for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+                found = candidates(sig[at : at + n], low, high)
+                if found:
+                    x, y = np.array(found).T
+                    a.append(reps[at + x])
+                    b.append(reps[at + y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def _elements(n: int):
+    """The distinct elements of each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                element, row = shingles(block, n)
+                order = np.lexsort((element, row))
+                element, row = element[order], row[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (element[1:] != element[:-1])
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=block.rows)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.ListArray.from_arrays(pa.array(offsets), pa.array(element[new].view(np.int64)))], ["doc_id", "elements"])
+
+    return run
+
+
+def _similar(threshold: float):
+    """Pairs (a, b, elements of a, elements of b) whose Jaccard index reaches the threshold."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [batch.column(k).value_lengths().to_numpy() for k in (2, 3)]
+            part = np.cumsum(size[0] + size[1]) // MOST
+            heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+            for first, last in zip(heads, np.append(heads[1:], len(part))):
+                element = np.concatenate([batch.column(k).slice(first, last - first).flatten().to_numpy() for k in (2, 3)])
+                row = np.concatenate([np.repeat(np.arange(last - first), s[first:last]) for s in size])
+                order = np.lexsort((element, row))
+                element, row = element[order], row[order]
+                both = np.bincount(row[1:][(row[1:] == row[:-1]) & (element[1:] == element[:-1])], minlength=last - first)
+                either = size[0][first:last] + size[1][first:last] - both
+                yield batch.slice(first, last - first).select(["a", "b"]).filter(pa.array((either > 0) & (both >= threshold * either)))
+
+    return run
+
+
+def joins(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, shingle: int = SHINGLE, exact: bool = False) -> DataFrame:
     """(a, b): pairs that suffice to connect all documents that the threshold connects."""
     signed = kept(_sign(text_col, id_col, docs, slots, shingle), "signatures")
     reps = kept(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "distinct")
@@ -187,18 +265,29 @@ def joins(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     banded = reps.select("rep", "sig").mapInArrow(_bands, "key bigint, rep bigint")
     buckets = banded.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets, "members array<bigint>").distinct()
     met = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("rep")).join(reps.select("rep", "sig"), "rep").select("bucket", "rep", "sig")
-    need = int(np.ceil(threshold * slots))
-    close = met.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_verify(need), "a bigint, b bigint")
-    return copies.union(close.where("a <> b"))
-
-
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    need = threshold * slots
+    if not exact:
+        close = met.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_verify(int(np.ceil(need))), "a bigint, b bigint")
+        return copies.union(close.where("a <> b"))
+    low, high = (int(np.ceil(need + x * slots / SLOTS)) for x in (-SLACK, SURE))
+    chosen = met.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_choose(max(low, 1), high), "a bigint, b bigint").where("a <> b")
+    pairs = kept(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    # Candidates grow with the corpus, so they are merged and not broadcast, whatever its size.
+    sets = kept(texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_elements(shingle), "doc_id bigint, elements array<bigint>"), "elements").hint("merge")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
+    close = both.select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a bigint, b bigint")
+    return copies.union(close)
+
+
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """doc_id, group_id (the least id of the group) for each document that has near duplicates; keep is true for one of each group."""
-    found = components(joins(docs, id_col, text_col, threshold))
+    found = components(joins(docs, id_col, text_col, threshold, exact=exact))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """The rows of docs without the documents whose group keeps another one."""
-    lost = group(docs, id_col, text_col, threshold).where("not keep").select(F.col("doc_id").alias("__lost_id"))
+    lost = group(docs, id_col, text_col, threshold, exact).where("not keep").select(F.col("doc_id").alias("__lost_id"))
     return docs.join(lost, docs[id_col].cast("bigint") == lost["__lost_id"], "left_anti")

@@ -31,7 +31,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.group(_table(spark, sf_dir, "documents"))
+    return near_dedup.group(_table(spark, sf_dir, "documents"), exact=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
