@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vexel.llm import bpe, bpe_codec, token_counts, token_shards
-from vexel.llm.blocks import blocks
+from vexel.llm.blocks import blocks, span_hash
 from vexel.llm.lexicon import Lexicon
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -137,3 +137,57 @@ def test_shard_is_plain_zstandard_and_guards_its_frames(tmp_path):
         assert reader.frame(2).tolist() == lists[2].tolist() and not len(reader.frame(1))
         with pytest.raises(ValueError):
             reader.frame(0)
+
+
+def thue_morse(n, a, b):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse():
+    """Both in one block, in one worker's memory, and under a hash that confuses nearly all."""
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    v = bpe.vocabulary(bpe.DEFAULT_VOCABULARY)
+    texts = [one, two, one + " " + two, "wordwordword", "rowdrowdrowd", "other " * 3 + two]
+    want = [ids_of(t) for t in texts]
+    counter = token_counts.Counter(v)
+    with pytest.MonkeyPatch.context() as patch:
+        for weak in (False, True):
+            if weak:
+                patch.setattr(bpe, "span_hash", lambda data, starts, ends: np.where(ends - starts > 8, np.uint64(7), span_hash(data, starts, ends)))
+            for _ in range(2):
+                assert counter(pa.array(texts)).tolist() == list(map(len, want))
+                assert counter(pa.array(texts[1:2])).tolist() == [len(want[1])]
+            (block,) = blocks(pa.array(texts))
+            ids, count = bpe_codec.encode_block(v, None, block)
+            assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == want
+            words = {bytes(w): n for b in bpe_codec._counts([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+            assert words == {one.encode(): 2, two.encode(): 1, b" " + two.encode(): 2, b"wordwordword": 1, b"rowdrowdrowd": 1, b"other": 1, b" other": 2}
+            counter = token_counts.Counter(v)
+
+
+def test_clashing_names_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5), (2, None, "y", 6)], "doc_id bigint, text string, ids string, n_tokens int")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count(df).collect()} == {1: 2, 2: 0}
+    assert {r.doc_id: r.ids for r in bpe_codec.encode(df).collect()} == {1: ids_of("a b"), 2: None}
+    index, folder = token_shards.write_texts(df.withColumn("shard", df.ids))
+    assert {r.doc_id: r.ids for r in token_shards.read(index, folder).collect()} == {1: ids_of("a b"), 2: []}
+
+
+def test_index_tells_the_bytes_of_every_frame(spark, tmp_path):
+    """Each row of the index against the file itself, by the standard decompressor and an independent checksum."""
+    import xxhash
+    import zstandard
+
+    index, folder = token_shards.write_texts(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").repartition(3), folder=f"file://{tmp_path}/c")
+    rows = index.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(TEXTS)))
+    for shard in {r.shard for r in rows}:
+        data, at = (tmp_path / "c" / shard).read_bytes(), 0
+        for r in sorted((r for r in rows if r.shard == shard), key=lambda r: r.frame):
+            raw = zstandard.ZstdDecompressor().decompress(data[r.position : r.position + r.size])
+            assert r.position == at and np.frombuffer(raw, "<u2").tolist() == ids_of(TEXTS[r.doc_id])
+            assert r.n_tokens == len(raw) // 2 and r.checksum == xxhash.xxh64(raw).intdigest() & 0xFFFFFFFF
+            at += r.size

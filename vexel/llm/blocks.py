@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 21
 SPACE = np.zeros(256, dtype=bool)
@@ -22,21 +23,10 @@ SPACE[list(b" \t\n\r\x0b\x0c")] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i in 0..n, kept for the worker's life."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0], _powers[1]
+#: Bytes up to which spans are hashed eight at a time, all spans together; longer ones are hashed one by one.
+SHORT = 256
+_SIZE, _NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,18 +75,67 @@ def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
         first = last
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte codes times B**i, from which span_hash takes any span."""
-    up, _ = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans: equal for equal bytes, wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    longer = np.zeros(len(data) + 8, np.uint8)
+    longer[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", longer, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans: equal for equal bytes, wherever they stand.
+
+    Spans of one length up to eight bytes have different hashes if they differ. Beyond that a
+    hash alone is no proof; ``equal_spans`` compares bytes.
+    """
+    eight, size = eights(data), ends - starts
+    out = mix((eight[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _SIZE)
+    at, step = np.flatnonzero((size > 8) & (size <= SHORT)), 8
+    while len(at):
+        x = eight[starts[at] + step] & _MASK[np.minimum(size[at] - step, 8)]
+        out[at] = mix((out[at] ^ x) * _NEXT + x)
+        step += 8
+        at = at[size[at] > step]
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, size: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether each span of data has the bytes of its fellow in others."""
+    out = size == other_size
+    a, b = eights(data), eights(others) if others is not data else None
+    b = a if b is None else b
+    at, step = np.flatnonzero(out & (size <= SHORT)), 0
+    while len(at):
+        mask = _MASK[np.minimum(size[at] - step, 8)]
+        out[at] = same = (a[starts[at] + step] & mask) == (b[other_starts[at] + step] & mask)
+        step += 8
+        at = at[same & (size[at] > step)]
+    for k in np.flatnonzero(out & (size > SHORT)).tolist():
+        n = size[k]
+        out[k] = np.array_equal(data[starts[k] : starts[k] + n], others[other_starts[k] : other_starts[k] + n])
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, size: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each content, and for every span which of those has its content. Bytes decide, hashes only help."""
+    _, spot, which = np.unique(hash_, return_index=True, return_inverse=True)
+    rep = spot[which]
+    odd = size != size[rep]
+    long = np.flatnonzero((size > 8) & ~odd & (rep != np.arange(len(rep))))
+    odd[long] = ~equal_spans(data, starts[long], size[long], data, starts[rep[long]], size[rep[long]])
+    if odd.any():  # words that share a hash with another word
+        own: dict[bytes, int] = {}
+        more = []
+        for k in np.flatnonzero(odd).tolist():
+            word = data[starts[k] : starts[k] + size[k]].tobytes()
+            if word not in own:
+                own[word] = len(spot) + len(more)
+                more.append(k)
+            which[k] = own[word]
+        spot = np.append(spot, more)
+    return spot, which
 
 
 @dataclass
@@ -132,7 +171,13 @@ def words(block: Block, lower: bool = False) -> Words:
     ends = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(starts, block.offsets)
     row = np.repeat(np.arange(block.rows), np.diff(first))
-    return Words(starts, ends, row, span_hash(prefix(data), starts, ends), first)
+    return Words(starts, ends, row, span_hash(data, starts, ends), first)
+
+
+def row_names(w: Words) -> np.ndarray:
+    """Two 64-bit names of each row's words: a column each."""
+    raw = b"".join(xxhash.xxh3_128_digest(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:]))
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
 
 
 def chars_before(data: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from vexel.llm.blocks import Block, Words, prefix, span_hash, spread
+from vexel.llm.blocks import Block, Words, span_hash, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = np.int64(1 << 40)
@@ -79,7 +79,7 @@ def pretokens(block: Block) -> Words:
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     first = np.searchsorted(starts, block.offsets)
     row = np.repeat(np.arange(block.rows), np.diff(first))
-    return Words(starts, ends, row, span_hash(prefix(data), starts, ends), first)
+    return Words(starts, ends, row, span_hash(data, starts, ends), first)
 
 
 class Vocabulary:

@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.blocks import Block, blocks, spread
+from vexel.llm.blocks import Block, blocks, distinct, spread
 from vexel.llm.bpe import DEFAULT_VOCABULARY, Vocabulary, merge, pretokens, vocabulary
 from vexel.llm.lexicon import Lexicon, opened
 from vexel.llm.tables import kept, new_folder
@@ -39,7 +39,8 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column(0), BLOCK):
             w = pretokens(block)
-            _, spot, count = np.unique(w.hash, return_index=True, return_counts=True)
+            spot, which = distinct(block.data, w.starts, w.ends - w.starts, w.hash)
+            count = np.bincount(which, minlength=len(spot))
             lengths = w.ends[spot] - w.starts[spot]
             flat = block.data[np.repeat(w.starts[spot], lengths) + spread(lengths)]
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
@@ -88,7 +89,7 @@ def publish(spark: SparkSession, lexicon: Lexicon) -> str:
 def encode_block(v: Vocabulary, lexicon: Lexicon | None, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the block's rows, and how many each row has."""
     w = pretokens(block)
-    _, spot, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    spot, which = distinct(block.data, w.starts, w.ends - w.starts, w.hash)
     starts, lengths = w.starts[spot], w.ends[spot] - w.starts[spot]
     number = lexicon.find(block.data, starts, lengths) if lexicon is not None else np.full(len(spot), -1)
     known = number >= 0

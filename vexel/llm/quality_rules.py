@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.blocks import Block, blocks, chars_before, groups, prefix, span_hash, words
+from vexel.llm.blocks import Block, blocks, chars_before, groups, span_hash, words
 
 TOP, DUP = (2, 3, 4), (5, 6, 7, 8, 9, 10)
 #: The highest admissible shares; published with the MassiveText corpus.
@@ -48,7 +48,7 @@ def _lines(block: Block, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = starts[ends > starts], ends[ends > starts]
     row = np.searchsorted(block.offsets, starts, "right") - 1
     size = chars[ends] - chars[starts]
-    keys = span_hash(prefix(data), starts, ends) + row.astype(np.uint64) * _STEP
+    keys = span_hash(data, starts, ends) + row.astype(np.uint64) * _STEP
     order, at = groups(keys)
     again = np.ones(len(keys), bool)
     again[order[at[:-1]]] = False

@@ -6,7 +6,7 @@ the lowest is popped, its places that still hold are merged and the pairs this m
 pushed. Words don't touch each other, so every word sees its own pairs in ascending order,
 leftmost first, as if it had a heap to itself. A word's count is its bytes less its merges.
 
-Words recur, so a worker counts each new word once and keeps the counts by 64-bit hash.
+Words recur, so a worker counts each new word once and remembers its bytes and count.
 
 Edge cases: a null or empty text counts 0. Each row is counted by itself: repeated rows get
 equal counts, an empty table gives an empty result, and a text or word of any length is
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.blocks import blocks, spread
+from vexel.llm.blocks import blocks, distinct, equal_spans, spread
 from vexel.llm.bpe import DEFAULT_VOCABULARY, NONE, Vocabulary, alternate, pretokens, vocabulary
 
 #: Words a worker remembers; beyond it starts anew, which costs time and changes nothing.
@@ -102,47 +102,63 @@ def count_merges(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: n
 
 
 class Counter:
-    """A worker's memory of words that it has counted."""
+    """A worker's memory of words that it has counted, by hash and bytes."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def _unknown(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.starts, self.size, self.counts = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Each word's place in the memory, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == keys)
+        same = equal_spans(data, starts[known], size[known], self.pool, self.starts[at[known]], self.size[at[known]])
+        out = np.full(len(keys), -1)
+        out[known[same]] = at[known[same]]
+        return out
+
+    def _keep(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, counts: np.ndarray) -> None:
+        """Of words with one hash the first is kept; the others are counted whenever they come."""
+        keys, first = np.unique(np.concatenate((self.keys, keys)), return_index=True)
+        if len(keys) > REMEMBERED:
+            return self._forget()
+        self.starts = np.concatenate((self.starts, starts + len(self.pool)))[first]
+        self.pool = np.concatenate((self.pool, data))
+        self.keys, self.size, self.counts = keys, np.concatenate((self.size, size))[first], np.concatenate((self.counts, counts))[first]
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text."""
-        met, new_keys, new_bytes, new_lengths, fresh = [], [], [], [], np.zeros(0, np.uint64)
+        met, fresh = [], []
         for block in blocks(column):
             w = pretokens(block)
-            keys, which = np.unique(w.hash, return_inverse=True)
-            met.append((keys, which.astype(np.int32), w.first))
-            unknown = self._unknown(keys) & ~np.isin(keys, fresh, assume_unique=True)
-            if unknown.any():
-                spot = np.zeros(len(keys), np.int64)
-                spot[which] = np.arange(len(which))
-                spot = spot[unknown]
-                lengths = w.ends[spot] - w.starts[spot]
-                new_keys.append(keys[unknown])
-                new_lengths.append(lengths)
-                new_bytes.append(block.data[np.repeat(w.starts[spot], lengths) + spread(lengths)])
-                fresh = np.concatenate((fresh, keys[unknown]))
-        if new_keys:
-            keys, lengths, data = np.concatenate(new_keys), np.concatenate(new_lengths), np.concatenate(new_bytes)
-            counts = count_merges(self.v, data, np.cumsum(lengths) - lengths, lengths)
-            keys, counts = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.counts = keys[order], counts[order]
-        out = []
-        for keys, which, first in met:
-            each = self.counts[np.searchsorted(self.keys, keys)][which] if len(keys) else np.zeros(0, np.int64)
-            upto = np.concatenate(([0], np.cumsum(each)))
+            spot, which = distinct(block.data, w.starts, w.ends - w.starts, w.hash)
+            keys, starts, size = w.hash[spot], w.starts[spot], w.ends[spot] - w.starts[spot]
+            number = self._find(keys, block.data, starts, size)
+            new = np.flatnonzero(number < 0)
+            fresh.append((keys[new], size[new], block.data[np.repeat(starts[new], size[new]) + spread(size[new])]))
+            met.append((number, new, which.astype(np.int32), w.first))
+        if not met:
+            return np.zeros(0, np.int64)
+        keys, size, data = (np.concatenate(x) for x in zip(*fresh))
+        starts = np.cumsum(size) - size
+        spot, which = distinct(data, starts, size, keys)
+        counts = count_merges(self.v, data, starts[spot], size[spot])
+        each_new, out, at = counts[which], [], 0
+        for number, new, which, first in met:
+            each = np.zeros(len(number), np.int64)
+            each[number >= 0] = self.counts[number[number >= 0]]
+            each[new] = each_new[at : at + len(new)]
+            at += len(new)
+            upto = np.concatenate(([0], np.cumsum(each[which])))
             out.append(upto[first[1:]] - upto[first[:-1]])
-        if len(self.keys) > REMEMBERED:
-            self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        self._keep(keys[spot], data, starts[spot], size[spot], counts)
+        return np.concatenate(out)
 
 
 def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY) -> DataFrame:
