@@ -14,6 +14,7 @@ ROWS = [
     (4, "clean token = short, password="),
     (5, None),
     (6, ""),
+    (8, 'TOKEN = "9233A8EC24be64439e3e49cf", Api_Key=0123456789abcdef0'),
     (None, f"nul {KEY}"),
     (7, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36 + " 'xoxb-1234567890-ab' " + "x" * 50000 + KEY),
     (7, f"another text of seven {KEY}"),
@@ -61,7 +62,7 @@ def test_batch_without_its_marker_is_not_read(spark, docs):
 
 
 def test_mask(spark, docs):
-    wide = docs.selectExpr("doc_id", "text", "1 as blob", "'z' as rule")
+    wide = docs.selectExpr("doc_id", "text", "1 as blob", "'z' as rule", "2 as __hit", "3 as hit", "4 as HIT_")
     out = ss.mask(wide, ss.Ledger(spark))
     assert out.columns == wide.columns
 

@@ -111,3 +111,29 @@ def test_empty(spark):
 def test_cut_of_all_and_nothing():
     block = next(blocks(pa.array(["a b c", "", " x  y "])))
     assert sd.cut(block, np.array([0, 2]), np.array([0, 0]), np.array([9, 1])) == [b"", b"", b" y "]
+
+
+def test_rows_that_share_an_id_lose_their_own_words_only(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"q{i}" for i in range(100))
+    rows = [(1, passage), (2, "two " + passage), (2, other), (2, other), (3, "x " + other)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 as __of", "2 as of", "3 as spans", "4 as text_key").repartition(3)
+    out = sd.remove(df, sd.spans(df))
+    assert out.schema == df.schema
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, passage), (2, other), (2, other), (2, "two "), (3, "x ")]
+
+
+def test_passages_meet_across_blocks_and_tasks(spark):
+    """Blocks of a few documents each, tasks of a few blocks, and texts longer than a block."""
+    rows = corpus(21) + [(200, " ".join(f"z{i % 700}" for i in range(3000))), (201, "head " + " ".join(f"z{i % 700}" for i in range(900)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r.doc_id, r.start, r.end) for r in sd.spans(df).collect()} == brute(rows, 50)
+        column = pa.array([t for _, t in rows], pa.string())
+        names = [np.concatenate([sd.row_names(sd.words(b)) for b in blocks(column, size)]) for size in (1 << 21, 4000)]
+        assert (names[0] == names[1]).all()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

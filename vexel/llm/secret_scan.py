@@ -29,12 +29,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.tables import kept, new_folder
+from vexel.llm.tables import free_name, kept, new_folder
 
 #: Patterns of credentials by their published forms. Character classes are ASCII, so other engines agree.
 RULES = {
     "aws_access_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
-    "assigned_secret": r"(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_\-]{16,}",
+    "assigned_secret": r"(?i:password|passwd|pwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_\-]{16,}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
     "google_api_key": r"AIza[0-9A-Za-z_\-]{35}",
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
@@ -120,10 +120,11 @@ def mask(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str
 
     The ledger tells which documents have findings, so others aren't searched again.
     """
-    hit = scan(docs, ledger, id_col, text_col, rules).select(F.col("doc_id").alias("__hit")).distinct()
+    mark = free_name(docs.columns, "hit")
+    hit = scan(docs, ledger, id_col, text_col, rules).select(F.col("doc_id").alias(mark)).distinct()
     text = reduce(lambda c, p: F.regexp_replace(c, p, MASK.replace("[", "\\[").replace("]", "\\]")), rules.values(), F.col(text_col))
-    marked = docs.join(hit, docs[id_col].cast("bigint").eqNullSafe(hit["__hit"]), "left")
-    out = [F.when(F.col("__hit").isNotNull() | F.col(id_col).isNull(), text).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.join(hit, docs[id_col].cast("bigint").eqNullSafe(hit[mark]), "left")
+    out = [F.when(F.col(mark).isNotNull() | F.col(id_col).isNull(), text).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return marked.select(*out)
 
 

@@ -16,16 +16,18 @@ word). Documents that are word for word the same have one name at the top and ar
 by it, without their windows.
 
 ``spans`` gives maximal stretches of repeated words: doc_id, start and end (word numbers,
-end excluded), and in first_doc_id, first_start where the first window of the stretch
-stands for the first time. ``remove`` cuts the stretches out.
+end excluded), in first_doc_id, first_start where the first window of the stretch stands for
+the first time, and in text_key some bits of the name of the row's whole text. ``remove``
+cuts the stretches out.
 
 Edge cases: null, empty and short texts (fewer than LENGTH words) have no windows, hence no
 repeats; rows with a null id are never repeats and keep their text. Rows that share an id
-and a text are one document; those that share an id only are compared with each other like
-different documents, the order between them being that of their word numbers. Overlapping
-repeats in one text count from their second window. An empty table gives no spans. Any
-length of text is processed whole. ``spans`` reads id and text only; ``remove`` returns
-the caller's columns in place, whatever their names.
+and a text are one document; those that share an id only are different documents in the
+order of text_key, and lose their own repeats only (two such texts in 32,768 have one key and
+lose the words found in either). Overlapping repeats in one text count from their second
+window. An empty table gives no spans. Any length of text is processed whole. ``spans``
+reads id and text only; ``remove`` returns the caller's columns in place, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,12 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.blocks import Block, Words, blocks, mix, spread, words
-from vexel.llm.tables import kept
+from vexel.llm.blocks import Block, Words, blocks, mix, row_names, spread, words
+from vexel.llm.tables import free_name
 
 LENGTH, GRAIN = 50, 6
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _TOP = np.uint64(63)
+#: Places are numbers of the text's key (15 bits) and the word in it.
+_WORD, _KEY = 40, np.uint64(49)
+
+
+def text_keys(names: np.ndarray) -> np.ndarray:
+    """15 bits of each row's name."""
+    return (names[:, 0] >> _KEY).astype(np.int64)
 
 
 def symbols(token: np.ndarray, row: np.ndarray, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +111,7 @@ def _wholes(length: int):
             for block in blocks(batch.column(1)):
                 w = words(block)
                 long = np.flatnonzero(np.diff(w.first) >= length)
-                k1, k2 = _names(w, w.first[:-1][long], w.first[1:][long])
+                k1, k2 = row_names(w)[long].T.copy()
                 ids = batch.column(0).slice(block.first, block.rows).take(pa.array(long))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(k.view(np.int64)) for k in (k1, k2)), pa.array(np.diff(w.first)[long])], ["doc_id", "k1", "k2", "n"])
 
@@ -116,13 +125,14 @@ def _symbols(length: int, grain: int):
             for block in blocks(batch.column(1)):
                 w = words(block)
                 count = np.diff(w.first)
-                key = _names(w, w.first[:-1], w.first[1:])[0].view(np.int64)
+                names = row_names(w)
+                key, part = np.ascontiguousarray(names[:, 0]).view(np.int64), text_keys(names) << (_WORD + 8)
                 use = count[w.row] >= length
                 origin = np.flatnonzero(use)
                 name, start, size, row = symbols(w.hash[use], w.row[use], grain)
                 whole = size >= grain
                 name, start, size, row = name[whole], origin[start[whole]], size[whole], row[whole]
-                spot = (start - w.first[row]) << 8 | np.minimum(size, 255)
+                spot = part[row] | (start - w.first[row]) << 8 | np.minimum(size, 255)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key[row]), pa.array(spot), pa.array(ids[block.first + row])], ["name", "k1", "spot", "doc_id"])
 
     return run
@@ -165,15 +175,16 @@ def _windows(length: int):
                 mine = spots.slice(block.first, block.rows)
                 count = np.diff(np.concatenate(([0], np.cumsum(mine.value_lengths().to_numpy()))))
                 spot, row = mine.flatten().to_numpy(), np.repeat(np.arange(block.rows), count)
-                start, size, n = spot >> 8, spot & 255, np.diff(w.first)[row]
+                part = text_keys(row_names(w))
+                start, size, n = spot >> 8 & (1 << _WORD) - 1, spot & 255, np.diff(w.first)[row]
                 low, high = np.maximum(start + size - length, 0), np.minimum(start, n - length)
-                ok = (high >= low) & (size <= length)
+                ok = (high >= low) & (size <= length) & (spot >> _WORD + 8 == part[row])
                 edge = np.zeros(len(w.row) + 1, np.int64)
                 np.add.at(edge, w.first[row[ok]] + low[ok], 1)
                 np.add.at(edge, w.first[row[ok]] + high[ok] + 1, -1)
                 at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 h1, h2 = _names(w, at, at + length)
-                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in (h1, h2)), pa.array(ids[block.first + w.row[at]]), pa.array(at - w.first[w.row[at]])], ["h1", "h2", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in (h1, h2)), pa.array(ids[block.first + w.row[at]]), pa.array(part[w.row[at]] << _WORD | at - w.first[w.row[at]])], ["h1", "h2", "doc_id", "at"])
 
     return run
 
@@ -223,11 +234,13 @@ def _stretches(length: int):
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """doc_id, start, end, first_doc_id, first_start of every repeated stretch of words."""
+    """doc_id, text_key, start, end, first_doc_id, first_start of every repeated stretch of words."""
     texts = _texts(docs, id_col, text_col)
     wholes = texts.mapInArrow(_wholes(length), "doc_id bigint, k1 bigint, k2 bigint, n bigint")
     least = wholes.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = wholes.join(least, ["k1", "k2"]).where("doc_id <> first").select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).cast("bigint").alias("first_start")).distinct()
+    key = F.shiftrightunsigned("k1", int(_KEY)).cast("int").alias("text_key")
+    none = F.lit(0).cast("bigint")
+    copies = wholes.join(least, ["k1", "k2"]).where("doc_id <> first").select("doc_id", key, none.alias("start"), F.col("n").alias("end"), F.col("first").alias("first_doc_id"), none.alias("first_start")).distinct()
 
     named = texts.mapInArrow(_symbols(length, grain), "name bigint, k1 bigint, spot bigint, doc_id bigint")
     shared = named.repartition("name").sortWithinPartitions("name", "k1", "spot", "doc_id").mapInArrow(_shared, "doc_id bigint, spot bigint")
@@ -235,12 +248,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     windows = texts.join(where, "doc_id").select("doc_id", "text", "spots").mapInArrow(_windows(length), "h1 bigint, h2 bigint, doc_id bigint, at bigint")
     later = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "at").mapInArrow(_later, "doc_id bigint, at bigint, first_doc_id bigint, first_start bigint")
     found = later.repartition("doc_id").sortWithinPartitions("doc_id", "at", "first_doc_id", "first_start").mapInArrow(_stretches(length), "doc_id bigint, start bigint, end bigint, first_doc_id bigint, first_start bigint")
-    return copies.union(found)
+    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << _WORD) - 1)).alias(c)
+    return copies.union(found.select("doc_id", F.shiftright("start", _WORD).cast("int").alias("text_key"), word("start"), word("end"), "first_doc_id", word("first_start")))
 
 
-def cut(block: Block, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-    """Texts of the block's rows without the given words; each goes with the white space after it."""
+def cut(block: Block, row: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray | None = None) -> list[bytes]:
+    """Texts of the block's rows without the given words (of rows that have the key given); each goes with the white space after it."""
     w = words(block)
+    if key is not None:
+        mine = text_keys(row_names(w))[row] == key
+        row, start, end = row[mine], start[mine], end[mine]
     edge = np.zeros(len(w.row) + 1, np.int64)
     stop = np.minimum(end, np.diff(w.first)[row])
     start = np.minimum(start, stop)
@@ -257,10 +274,11 @@ def cut(block: Block, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> li
 
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the words in found (as from spans); a document left without words goes, if it had any."""
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__of")
     columns, schema = docs.columns, docs.schema
+    of, inside = free_name(columns, "of"), free_name(columns, "spans")
+    lists = found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start", "end", "text_key")).alias(inside))
     at = columns.index(text_col)
-    joined = docs.join(lists, docs[id_col].cast("bigint") == lists["__of"], "left").drop("__of")
+    joined = docs.join(lists, docs[id_col].cast("bigint") == lists[of], "left").drop(of)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +292,11 @@ def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                 inside = lists.take(pa.array(rows))
                 count = inside.value_lengths().to_numpy()
                 pairs = inside.flatten()
-                start, end = (pairs.field(k).to_numpy() for k in range(2))
+                start, end, key = (pairs.field(k).to_numpy() for k in range(3))
                 owner = np.repeat(np.arange(len(rows)), count)
                 for block in blocks(part):
                     a, b = np.searchsorted(owner, (block.first, block.last))
-                    for k, text in enumerate(cut(block, owner[a:b] - block.first, start[a:b], end[a:b])):
+                    for k, text in enumerate(cut(block, owner[a:b] - block.first, start[a:b], end[a:b], key[a:b])):
                         row = rows[block.first + k]
                         keep[row] = bool(text.strip())
                         texts[row] = text.decode("utf-8")

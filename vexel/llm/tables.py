@@ -3,7 +3,8 @@
 Long plans are cut by writing a table to the folder that the session names in
 ``spark.checkpoint.dir``, which every executor reaches; a lost executor then costs no more
 than the tasks it ran. Where no folder is set, as in tests, one is made under the working
-machine's temporary folder and the setting is filled in.
+machine's temporary folder and the setting is filled in; on a cluster, whose executors
+wouldn't share it, that is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; set only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,6 +47,14 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, drawn out until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Union-find over edges as alternating star rounds: (node, root) with the least node as root.
 
