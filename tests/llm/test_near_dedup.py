@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from vexel.llm import near_dedup as nd
@@ -43,7 +44,9 @@ def corpus(seed):
     return rows
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("part", [nd.PART, 3])
+def test_groups_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(nd, "PART", part)
     for seed in range(2):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
@@ -115,3 +118,92 @@ def test_keep_one_keeps_columns_and_empties(spark):
     assert out.columns == df.columns
     assert sorted(out.collect(), key=str) == sorted((r for r in df.collect() if r.doc_id != 2), key=str)
     assert nd.keep_one(df.limit(0)).count() == 0
+
+
+def jaccard_groups(rows, threshold=nd.THRESHOLD):
+    """Components of all pairs whose own elements reach the threshold."""
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets[d] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    return {(d, r) for d, r in root.items() if sum(x == r for x in root.values()) > 1}
+
+
+@pytest.mark.parametrize("part", [nd.PART, 8])
+def test_hot_buckets_lose_no_link(spark, monkeypatch, part):
+    """Chains of near copies, with neighbours alike and ends unlike, and unlike texts around one passage, all in hot buckets."""
+    monkeypatch.setattr(nd, "PART", part)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    rows, text = [], [rng.choice(words) for _ in range(120)]
+    for i in range(60):
+        rows.append((i, " ".join(text)))
+        text[rng.randrange(120)] = f"n{i}"
+        text[rng.randrange(120)] = f"m{i}"
+    notice = " ".join(rng.choice(words) for _ in range(60))
+    rows += [(100 + i, notice + " " + " ".join(f"u{i}x{k}" for k in range(90))) for i in range(60)]
+    rows += [(200 + i, rows[60 + i][1] + " end") for i in range(0, 60, 7)]
+    rng.shuffle(rows)
+    got = nd.group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), exact=True).collect()
+    assert {(r.doc_id, r.group_id) for r in got} == jaccard_groups(rows)
+    sizes = [sum(o.class_id == r.class_id for o in got) for r in got]
+    assert all(r.n_links > 0 or n > 1 for r, n in zip(got, sizes))
+    assert all(o.group_id == r.group_id for r in got for o in got if o.class_id == r.class_id)
+
+
+def test_parts_cover_a_bucket(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.choice([1, 2, 3, 4, 5, 6], 200, p=[0.5, 0.3, 0.1, 0.05, 0.045, 0.005]))
+    reps = np.arange(200)
+    for step in (1, 7, 64, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + step]), pa.array(reps[a : a + step])], ["key", "rep"]) for a in range(0, 200, step)]
+        seen = {}
+        for out in nd._buckets(10)(batches):
+            for key, part, hot, members in zip(*(c.to_pylist() for c in out.columns)):
+                assert 0 < len(members) <= 10 and hot == ((keys == key).sum() > 10)
+                seen.setdefault(key, []).append((part, members))
+        assert {k: [x for _, m in v for x in m] for k, v in seen.items()} == {k: reps[keys == k].tolist() for k in np.unique(keys).tolist() if (keys == k).sum() > 1}
+        assert all([p for p, _ in v] == list(range(len(v))) for v in seen.values())
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    for text in ("a b", "x" * 5000, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 900) for _ in range(300)), " \n" * 3000 + "end", "one two  three" + " " * 4000, " ".join(f"v{i}" for i in range(3000)) + "\t"):
+        (block,) = blocks(pa.array([text]))
+        for n in (1, 3):
+            whole = set(nd.shingles(block, n)[0].tolist())
+            parts = [set(p.tolist()) for p in nd.pieces(block, n, 700)]
+            assert set().union(*parts) == whole
+    element, row = nd.shingles(block)
+    monkeypatch.setattr(nd, "DRAWN", 100)
+    small = nd.signatures(element, row, 1)
+    monkeypatch.undo()
+    assert (small == nd.signatures(element, row, 1)).all()
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = " ".join(f"word{i % 50021}" for i in range(2_500_000))
+    (block,) = blocks(pa.array([text]))
+    tracemalloc.start()
+    sig = np.full((1, nd.SLOTS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for element in nd.pieces(block, 3, nd.PIECE):
+        nd._draw(sig, element[: nd.DRAWN], np.zeros(len(element[: nd.DRAWN]), np.int64))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_shared_ids_and_clashing_names(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "q r s t u v"), (3, "q r s t u v"), (4, "q r s t u v w"), (5, "only one here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 as rep", "2 as gone", "3 as root", "4 as group_id")
+    assert {(r.doc_id, r.group_id) for r in nd.group(df, exact=True).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    out = nd.keep_one(df, exact=True)
+    assert out.schema == df.schema and sorted(r.doc_id for r in out.collect()) == [1, 5]
+    assert nd.group(df.limit(0), exact=True).count() == 0

@@ -12,9 +12,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,20 +62,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edge appears once. Loops and repeated edges change nothing; null ends are dropped.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where(f"{a} is not null and {b} is not null").distinct()
-    near = Window.partitionBy("v")
     e, seen, old = kept(e, "edges"), None, None
     while True:
-        both = e.where("u <> v").select(F.col("v"), F.col("u")).union(e.where("u <> v").select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = both.withColumn("m", F.least("v", F.min("u").over(near))).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.withColumn("m", F.min("u").over(near))
-        small = low.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).distinct()
-        new = kept(small, "edges")
+        apart = e.where("u <> v")
+        both = apart.select("v", "u").union(apart.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        # Least neighbours are aggregated before they are shuffled, so a hub costs a row of each task.
+        least = both.groupBy("v").agg(F.min("u").alias("m"))
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).distinct()
+        told = Observation()
+        new = kept(small.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")), "edges")
         if old is not None:
             drop(old)
         old = e
         e = new
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if (state := told.get) == seen:
             break
         seen = state
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
