@@ -181,3 +181,54 @@ def test_onnx_guards():
     for shape in ((2,), (3, 2), (2, 5, 3), (2, 2, 2, 2)):
         with pytest.raises(ValueError, match="shape"):
             pool(np.ones(shape), mask)
+
+
+def test_projection_by_join_equals_that_by_copy(spark, monkeypatch):
+    from vexel.operators import random_projection as rp
+
+    texts = [(1, "red green blue red"), (2, None), (3, ""), (4, "unseen words only"), (5, "blue " * 500), (5, "red green blue red"), (None, "green é日本 red")]
+    df = spark.createDataFrame(texts, "n BIGINT, text STRING").selectExpr("n", "text", "1 as tokens", "2 as ROW", "3 as words", "4 as token").repartition(3)
+    model = RandomProjection(40).fit(spark.createDataFrame([(1, "red green"), (2, "blue é日本 red")], "n BIGINT, text STRING"), order_col="n")
+    assert [r.token for r in model.vocabulary.orderBy("tok_idx").collect()] == ["red", "green", "blue", "é日本"]
+    monkeypatch.setattr(rp, "CELLS", 90)
+    copied = model.embed(df)
+    assert copied.columns == [*df.columns, "embedding"]
+    monkeypatch.setattr(rp, "COPIED", 0)
+    assert sorted(map(str, copied.collect())) == sorted(map(str, model.embed(df).collect()))
+    by = {(r.n, r.text): r.embedding for r in copied.collect()}
+    assert not any(by[2, None]) and not any(by[3, ""]) and not any(by[4, "unseen words only"])
+    one = rp.signs(["red", "green", "blue"], 40, 42).astype(int)
+    total = 2 * one[0] + one[1] + one[2]
+    assert by[1, "red green blue red"] == pytest.approx((total / (total @ total) ** 0.5).tolist())
+    cells = {(r.tok_idx, e.dim): e.val for r in model.vocabulary.collect() for e in r.entries}
+    assert {k for k in cells if k[0] == 0} == {(0, d) for d in one[0].nonzero()[0]} and all(abs(v) == pytest.approx(model.scale) for v in cells.values())
+
+
+def test_signs_are_drawn_in_their_shares():
+    from vexel.operators import random_projection as rp
+
+    drawn = rp.signs([f"w{i}" for i in range(400)], 100, 7)
+    assert abs((drawn == 1).mean() - 1 / 6) < 0.01 and abs((drawn == -1).mean() - 1 / 6) < 0.01
+
+
+def test_lengths_are_locked_before_tasks_ask(spark):
+    """A service that answers with other lengths later fails instead of mixing them."""
+
+    def growing(url, body, headers, timeout):
+        n = len(json.loads(body)["input"])
+        size = 2 if json.loads(body)["input"] == ["dimension"] else 3
+        return 200, json.dumps({"data": [{"index": k, "embedding": [1.0] * size} for k in range(n)]}).encode()
+
+    client = HTTPEmbedder("http://x.invalid", "m", transport=growing)
+    with pytest.raises(Exception, match="3 dimensions, not 2"):
+        client.embed(spark.createDataFrame([("a",)], "text STRING")).collect()
+
+
+def test_tour_of_a_local_model(spark, capsys):
+    from vexel.__main__ import show_alike
+    from vexel.operators import OnnxEmbedder
+    from vexel.plans.catalogue import LETTERS, Counting
+
+    show_alike(spark, OnnxEmbedder("counting", WordPiece(LETTERS), open=lambda name: Counting))
+    out = capsys.readouterr().out
+    assert "3 dimensions" in out and out.count("|") > 40

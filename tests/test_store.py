@@ -138,3 +138,25 @@ def test_stream(spark, tmp_path):
     got = []
     search_stream(stream, store, 1, lambda df, _: got.extend((r.query_id, r.id) for r in df.collect()), f"{tmp_path}/check").awaitTermination()
     assert sorted(got) == [(1, "a"), (2, "b")]
+
+
+def test_tasks_keep_the_best_of_all_their_blocks(spark, monkeypatch):
+    from vexel.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    monkeypatch.setattr(knn, "HELD", 40)
+    rows = spark.createDataFrame([(i, [float(i * i % 31), float(i % 5), 1.0]) for i in range(90)], "seq BIGINT, vector ARRAY<DOUBLE>").repartition(3)
+    queries = rows.selectExpr("seq as query_id", "vector as query").where("seq < 30")
+    for metric in Metric:
+        want = knn.search_each_plain(queries, rows, 4, metric)
+        assert sorted(map(str, knn.search_each(queries, rows, 4, metric).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_store_that_has_no_json_form_leaves_the_old_file(spark, tmp_path):
+    path = f"{tmp_path}/s.json"
+    VectorStore(spark).add([("a", [1.0, 2.0])]).save_json(path)
+    with pytest.raises(ValueError):
+        VectorStore(spark).add([("a", [1.0]), ("b", [float("nan")])]).save_json(path)
+    assert VectorStore.load_json(spark, path).rows.count() == 1
+    VectorStore(spark).save_json(path)
+    assert VectorStore.load_json(spark, path).rows.count() == 0

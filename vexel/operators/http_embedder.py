@@ -35,7 +35,10 @@ def post(url: str, body: bytes, headers: dict[str, str], timeout: float) -> tupl
 
 @dataclass(frozen=True)
 class HTTPEmbedder:
-    """Settings that travel to the workers. ``dims`` is 0 until ``probe`` or the caller says."""
+    """Settings that travel to the workers. ``dims`` is 0 until ``probe`` or the caller says.
+
+    ``embed`` probes where nobody said, so all tasks hold answers to one length.
+    """
 
     base_url: str
     model: str
@@ -107,4 +110,5 @@ class HTTPEmbedder:
 
     def embed(self, texts: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
         """texts with a vector column: one request for every ``batch`` texts. Cancel it as a Spark job."""
-        return embed_table(texts, text_col, out_col, self.batch, lambda: self.embed_batch)
+        sure = self.probe()
+        return embed_table(texts, text_col, out_col, self.batch, lambda: sure.embed_batch)

@@ -87,7 +87,47 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: Metric) -> np.ndarray:
     return 1.0 - np.divide(dots, length, out=np.zeros(len(dots)), where=length != 0)
 
 
+#: Answers that a task holds before it hands them on.
+HELD = 1 << 20
+
+
+def _ranked(query: np.ndarray, seq: np.ndarray, score: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query."""
+    key = np.where(np.isnan(score), np.inf, score if metric.ascending else -score)
+    order = np.lexsort((seq, key, np.isnan(score), query))
+    query, seq, score = query[order], seq[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], seq[keep], score[keep]
+
+
 def _closest(k: int, metric: Metric):
+    near = _pairwise(k, metric)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of all pairs of blocks that a task meets: k rows of each query, not k of each pair."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "seq", "distance"])
+
+        for part in near(batches):
+            held.append(tuple(part.column(c).to_numpy() for c in range(3)))
+            size += part.num_rows
+            if size > HELD:
+                held = [_ranked(*map(np.concatenate, zip(*held)), k, metric)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            held = [_ranked(*map(np.concatenate, zip(*held)), k, metric)]
+            yield out()
+
+    return run
+
+
+def _pairwise(k: int, metric: Metric):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -5,6 +5,10 @@ sixth) drawn by hash of seed, word and dimension, so the matrix needs no order a
 state. A text's vector is the sum of its words' rows, brought to unit length; common scale
 factors cancel, so sums are of whole numbers and don't depend on partitioning. Unknown
 words add nothing; a text without known words has the zero vector.
+
+Workers draw rows as they need them and sum whole texts in one pass. Which words count is
+told by a copy of the vocabulary where its size allows (``COPIED`` bytes), else by a join of
+words; the vectors are the same.
 """
 
 from __future__ import annotations
@@ -13,50 +17,72 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from math import sqrt
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from vexel.functions.text import tokenize
+from vexel.sources import scratch
 
 SEED = 42
 VOCABULARY = "tok_idx BIGINT, token STRING, entries ARRAY<STRUCT<dim: INT, val: FLOAT>>"
+#: Bytes of words and signs that a worker may be given; cells that are summed at once.
+COPIED, CELLS = 64 << 20, 1 << 22
+
+
+def signs(tokens: list[str], dims: int, seed: int) -> np.ndarray:
+    """The words' rows: 16 bits of SHA-256 of seed, word and dimension // 16, modulo 6; 0 is minus, 1 is plus."""
+    parts = [f":{block}".encode() for block in range(-(-dims // 16))]
+    raw = bytearray()
+    for token in tokens:
+        begun = hashlib.sha256(f"{seed}:{token}".encode())
+        for part in parts:
+            drawn = begun.copy()
+            drawn.update(part)
+            raw += drawn.digest()
+    cell = np.frombuffer(raw, ">u2").reshape(len(tokens), -1)[:, :dims] % 6
+    return (cell == 1).astype(np.int8) - (cell == 0).astype(np.int8)
 
 
 def _draw(dims: int, seed: int, scale: float):
-    """Each word's non-zero cells: 32 bits of MD5 of seed, word and dimension, modulo 6; 0 is minus, 1 is plus."""
-    parts = [str(d).encode() for d in range(dims)]
-    sign = {0: -scale, 1: scale}
+    """The words' non-zero cells."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for token in batch.column(1).to_pylist():
-                begun = hashlib.md5(f"{seed}:{token}:".encode())
-                cells = []
-                for d, part in enumerate(parts):
-                    drawn = begun.copy()
-                    drawn.update(part)
-                    if (value := sign.get(int.from_bytes(drawn.digest()[:4]) % 6)) is not None:
-                        cells.append({"dim": d, "val": value})
-                out.append(cells)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.struct([("dim", pa.int32()), ("val", pa.float32())])))], ["tok_idx", "token", "entries"])
+            matrix = signs(batch.column(1).to_pylist(), dims, seed)
+            row, dim = np.nonzero(matrix)
+            offsets = np.searchsorted(row, np.arange(len(matrix) + 1)).astype(np.int32)
+            cells = pa.StructArray.from_arrays([pa.array(dim.astype(np.int32)), pa.array((matrix[row, dim] * scale).astype(np.float32))], ["dim", "val"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), cells)], ["tok_idx", "token", "entries"])
 
     return run
 
 
-def _numbered(met: DataFrame) -> DataFrame:
-    """met with tok_idx, each word's place by first appearance.
+def _total(matrix: np.ndarray, place: np.ndarray, times: np.ndarray | None, text: np.ndarray, texts: int) -> np.ndarray:
+    """Sums of the rows at place (where not -1, so many times), by text; text ascends."""
+    known = place >= 0
+    place, text = place[known], text[known]
+    times = None if times is None else times[known]
+    out = np.zeros((texts, matrix.shape[1]), np.int64)
+    step = max(1, CELLS // matrix.shape[1])
+    for a in range(0, len(place), step):
+        rows = matrix[place[a : a + step]].astype(np.int64)
+        if times is not None:
+            rows *= times[a : a + step, None]
+        own = text[a : a + step]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] += np.add.reduceat(rows, first, axis=0)
+    return out
 
-    Words are ranked among those of the same first text, and texts are ordered by a running
-    count of their new words, so only one short row of each text meets in one task.
-    """
-    span = F.col("first").getField(met.schema["first"].dataType.names[0])
-    ranked = met.withColumn("__span", span).withColumn("__rank", F.row_number().over(Window.partitionBy("__span").orderBy("first")))
-    sizes = met.groupBy(span.alias("__span")).agg(F.count("*").alias("__n"))
-    before = sizes.select("__span", F.coalesce(F.sum("__n").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranked.join(before, "__span").withColumn("tok_idx", (F.col("__before") + F.col("__rank") - 1).cast("bigint"))
+
+def _unit(total: np.ndarray) -> pa.Array:
+    length = np.sqrt((total * total).sum(axis=1, keepdims=True).astype(np.float64))
+    unit = np.divide(total, length, out=np.zeros(total.shape), where=length > 0)
+    offsets = np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
 
 
 class RandomProjection:
@@ -76,11 +102,22 @@ class RandomProjection:
         return sqrt(3 / self._dims)
 
     def fit(self, corpus: DataFrame, text_col: str = "text", order_col: str | None = None) -> RandomProjection:
-        """Take the corpus's words, in the order of order_col (else of the words themselves); any earlier vocabulary goes."""
+        """Take the corpus's words, in the order of order_col (else of the words themselves); any earlier vocabulary goes.
+
+        Words are sorted by ranges and numbered within them; the driver only adds up the
+        ranges' sizes. The vocabulary is written once and read from then on.
+        """
         words = corpus.select(F.posexplode(tokenize(text_col)).alias("pos", "token")) if order_col is None else corpus.select(F.col(order_col).alias("at"), F.posexplode(tokenize(text_col)).alias("pos", "token"))
         first = F.struct("token") if order_col is None else F.struct("at", "pos")
-        met = words.groupBy("token").agg(F.min(first).alias("first"))
-        self.vocabulary = _numbered(met).select("tok_idx", "token").mapInArrow(_draw(self._dims, self.seed, self.scale), VOCABULARY)
+        met = words.groupBy("token").agg(F.min(first).alias("first")).repartitionByRange("first").sortWithinPartitions("first")
+        row = F.monotonically_increasing_id()
+        ranged = scratch.kept(met.select("token", F.shiftright(row, 33).cast("int").alias("range"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "words")
+        before, at = {}, 0
+        for number, n in sorted(map(tuple, ranged.groupBy("range").count().collect())):  # a row for each range
+            before[number], at = at, at + n
+        starts = ranged.sparkSession.createDataFrame(list(before.items()), "range INT, start BIGINT")
+        numbered = ranged.join(F.broadcast(starts), "range").select((F.col("start") + F.col("row")).alias("tok_idx"), "token")
+        self.vocabulary = scratch.kept(numbered.mapInArrow(_draw(self._dims, self.seed, self.scale), VOCABULARY), "vocabulary")
         return self
 
     def _fitted(self) -> DataFrame:
@@ -91,21 +128,58 @@ class RandomProjection:
     def vocab_size(self) -> int:
         return self._fitted().count() if self.vocabulary is not None else 0
 
-    def cells(self, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """id, dim, value of the vectors' non-zero elements."""
-        counts = texts.select(F.col(id_col).alias("id"), F.explode(tokenize(text_col)).alias("token")).groupBy("id", "token").count()
-        known = counts.join(self._fitted().select("token", "entries"), "token")
-        sums = known.select("id", "count", F.explode("entries").alias("e")).groupBy("id", F.col("e.dim").alias("dim")).agg(F.sum(F.signum("e.val").cast("bigint") * F.col("count")).alias("n")).where("n <> 0")
-        length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")).cast("double"))
-        return sums.select("id", "dim", (F.col("n") / length).alias("value"))
+    def _copied(self) -> pa.Array | None:
+        """The vocabulary's words, if they and their rows are few enough for every worker."""
+        words = self._fitted().select("token")
+        n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+        return words.toArrow().column(0).combine_chunks() if n * (self._dims + 8) + size <= COPIED else None
 
     def embed(self, texts: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-        """texts with a vector of doubles. Rows of one text share the work."""
-        distinct = texts.select(F.col(text_col).alias("__text")).where("__text is not null").distinct().withColumn("__key", F.sha2("__text", 256))
-        lists = self.cells(distinct, "__key", "__text").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("__map"))
-        keyed = texts.withColumn("__key", F.sha2(text_col, 256)).join(lists.withColumnRenamed("id", "__key"), "__key", "left")
-        vector = F.transform(F.sequence(F.lit(0), F.lit(self._dims - 1)), lambda d: F.coalesce(F.try_element_at("__map", d), F.lit(0.0)))
-        return keyed.withColumn(out_col, vector).drop("__key", "__map")
+        """texts with a vector of doubles; a null text has the zero vector."""
+        dims, seed, columns = self._dims, self.seed, texts.columns
+        schema = T.StructType([*texts.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+        words = self._copied()
+        if words is None:
+            return self._embed_by_join(texts, text_col, schema)
+        shared = texts.sparkSession.sparkContext.broadcast(words)  # COPIED bytes at most, with its rows
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, matrix = shared.value, None
+            for batch in batches:
+                if matrix is None:
+                    matrix = signs(known.to_pylist(), dims, seed)
+                lists = batch.column(len(columns))
+                count = lists.value_lengths().fill_null(0).to_numpy()
+                place = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy()
+                total = _total(matrix, place, None, np.repeat(np.arange(len(count)), count), len(count))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _unit(total)], schema.names)
+
+        tokens = scratch.free_name(columns, "tokens")
+        return texts.withColumn(tokens, tokenize(text_col)).mapInArrow(run, schema)
+
+    def _embed_by_join(self, texts: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
+        """Rows are numbered, their words joined with the vocabulary and gathered again by number."""
+        dims, seed, columns = self._dims, self.seed, texts.columns
+        row, inside = scratch.free_name(columns, "row"), scratch.free_name(columns, "words")
+        rows = scratch.kept(texts.withColumn(row, F.monotonically_increasing_id()), "texts")
+        counts = rows.select(row, F.explode(tokenize(text_col)).alias("token")).groupBy(row, "token").count()
+        lists = counts.join(self._fitted().select("token"), "token", "left_semi").groupBy(row).agg(F.collect_list(F.struct("token", "count")).alias(inside))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(len(columns))
+                count = lists.value_lengths().fill_null(0).to_numpy()
+                pairs = lists.flatten()
+                words = pairs.field(0).dictionary_encode()
+                total = _total(signs(words.dictionary.to_pylist(), dims, seed), words.indices.to_numpy(), pairs.field(1).to_numpy(), np.repeat(np.arange(len(count)), count), len(count))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _unit(total)], schema.names)
+
+        return rows.join(lists, row, "left").select(*[F.col(f"`{c}`") for c in columns], inside).mapInArrow(run, schema)
+
+    def cells(self, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """id, dim, value of the vectors' non-zero elements."""
+        vectors = self.embed(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "vector")
+        return vectors.select("id", F.posexplode("vector").alias("dim", "value")).where("value <> 0")
 
     def save(self, path: str) -> None:
         meta = {"output_dim": self._dims, "seed": self.seed}

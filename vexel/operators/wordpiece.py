@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,29 @@ def _kind(c: str) -> str:
     return "w"
 
 
+class _Spaced(dict):
+    """For str.translate: blanks as spaces, dropped characters gone, those that stand alone between spaces."""
+
+    def __missing__(self, code: int) -> str | None:
+        kind = _kind(chr(code))
+        self[code] = out = {"_": " ", "x": None, "p": f" {chr(code)} ", "w": chr(code)}[kind]
+        return out
+
+
+class _Bare(dict):
+    """For str.translate: characters without the marks that decomposing set apart."""
+
+    def __missing__(self, code: int) -> str | None:
+        self[code] = out = None if unicodedata.category(chr(code)) == "Mn" else chr(code)
+        return out
+
+
+_SPACED, _BARE = _Spaced(), _Bare()
+_CAPITALS = {0x130: "i", 0x3A3: "σ"}
+#: Words whose pieces a worker remembers; beyond it starts anew.
+REMEMBERED = 1 << 20
+
+
 class WordPiece:
     def __init__(self, tokens: Iterable[str], lower: bool = True) -> None:
         """A token's id is its place; of equal ones the first counts, and the others still take a number."""
@@ -40,6 +63,10 @@ class WordPiece:
         if missing:
             raise ValueError(f"the vocabulary has no {', '.join(missing)}")
         self.lower = lower
+        self._known: dict[str, list[int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, lower: bool = True) -> WordPiece:
@@ -51,23 +78,10 @@ class WordPiece:
         return cls((line.removesuffix("\r") for line in lines), lower)
 
     def split(self, text: str) -> list[str]:
+        """The words and single characters of a text, with empty strings between."""
         if self.lower:
-            text = "".join(c for c in unicodedata.normalize("NFD", text.translate({0x130: "i", 0x3A3: "σ"}).lower()) if unicodedata.category(c) != "Mn")
-        out: list[str] = []
-        word: list[str] = []
-        for c in text:
-            kind = _kind(c)
-            if kind == "w":
-                word.append(c)
-            elif kind != "x":
-                if word:
-                    out.append("".join(word))
-                    word = []
-                if kind == "p":
-                    out.append(c)
-        if word:
-            out.append("".join(word))
-        return out
+            text = text.lower() if text.isascii() else unicodedata.normalize("NFD", text.translate(_CAPITALS).lower()).translate(_BARE)
+        return text.translate(_SPACED).split(" ")
 
     def pieces(self, word: str) -> list[int]:
         unknown = [self.ids["[UNK]"]]
@@ -87,22 +101,27 @@ class WordPiece:
 
     def encode(self, text: str, max_len: int = 256) -> list[int]:
         """[CLS] ... [SEP], max_len ids at most."""
-        out, room = [self.ids["[CLS]"]], max(max_len - 2, 0)
-        known: dict[str, list[int]] = {}
+        out, room, known = [self.ids["[CLS]"]], max(max_len - 2, 0), self._known
         for word in self.split(text):
+            if not word:
+                continue
             if len(out) - 1 >= room:
                 break
-            if word not in known:
-                known[word] = self.pieces(word)
-            out += known[word]
+            found = known.get(word)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[word] = self.pieces(word)
+            out += found
         return [*out[: room + 1], self.ids["[SEP]"]]
 
     def column(self, text: Column | str, max_len: int = 256) -> Column:
         """An Arrow function over a text column; null texts give null."""
 
-        @F.pandas_udf("array<bigint>")
-        def ids(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else np.array(self.encode(t, max_len), np.int64))
+        @F.arrow_udf("array<bigint>")
+        def ids(texts: pa.Array) -> pa.Array:
+            rows = [None if t is None else self.encode(t, max_len) for t in texts.to_pylist()]
+            return pa.array(rows, pa.list_(pa.int64()))
 
         return ids(text)
 

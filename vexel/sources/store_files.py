@@ -41,16 +41,37 @@ def load_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, Metric]:
 
 
 def save_json(rows: DataFrame, metric: Metric, path: str) -> None:
-    """One indented object in one file: an interchange form for stores that fit the driver."""
-    parts = rows.orderBy("seq").collect()
-    vectors = [[float(x) for x in r.vector] for r in parts]
-    if any(not math.isfinite(x) for v in vectors for x in v):
-        raise ValueError("NaN and infinity have no JSON form")
-    text = json.dumps({"Vectors": vectors, "IDs": [r.id for r in parts], "Metric": int(metric)}, indent=2)
+    """One indented object in one file. The driver writes it from rows that stream through, a partition at a time."""
     fs, at = _path(rows.sparkSession, path)
-    out = fs.create(at, True)
-    out.write(bytearray(text.encode()))
+    staged = at.suffix(".staged")
+    out = fs.create(staged, True)
+    ordered = rows.orderBy("seq")
+
+    def part(name: str, column: str) -> None:
+        first = True
+        out.write(bytearray(f'  "{name}": ['.encode()))
+        for r in ordered.select("seq", column).toLocalIterator():
+            cell = [float(x) for x in r[1]] if column == "vector" else r[1]
+            if column == "vector" and any(not math.isfinite(x) for x in cell):
+                raise ValueError("NaN and infinity have no JSON form")
+            text = json.dumps(cell, indent=2).replace("\n", "\n    ") if column == "vector" else json.dumps(cell)
+            out.write(bytearray((("" if first else ",") + "\n    " + text).encode()))
+            first = False
+        out.write(bytearray((("" if first else "\n  ") + "],\n").encode()))
+
+    try:
+        out.write(bytearray(b"{\n"))
+        part("Vectors", "vector")
+        part("IDs", "id")
+        out.write(bytearray(f'  "Metric": {int(metric)}\n}}'.encode()))
+    except BaseException:
+        out.close()
+        fs.delete(staged, False)
+        raise
     out.close()
+    fs.delete(at, False)
+    if not fs.rename(staged, at):
+        raise OSError(f"{staged} can't be moved to {path}")
 
 
 def load_json(spark: SparkSession, path: str) -> tuple[DataFrame, Metric]:
