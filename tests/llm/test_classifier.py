@@ -39,6 +39,36 @@ def test_held_out_accuracy(spark):
     assert all(r.keep == (r.quality_score >= 0 and r.toxic_score < 0) for r in got.values())
 
 
+def test_ratios_and_margins_equal_naive_ones(spark):
+    """Counts, log ratios and margins, document by document from the word sequences themselves."""
+    docs, labels = corpus(120, 5)
+    buckets = 1 << 12
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    model = c.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), WANTED, fit_rows=10**9, buckets=buckets)
+    grams = {d: {*(w := t.lower().split()), *map(" ".join, zip(w, w[1:]))} for d, t in docs}
+    names = sorted(set().union(*grams.values()))
+    (block,) = blocks(pa.array(names))
+    of = {n: set() for n in names}
+    for row, bucket in zip(*(x.tolist() for x in c.features(block, buckets))):
+        of[names[row]].add(bucket)
+    own = {d: sorted(set().union(*(of[g] for g in s))) for d, s in grams.items()}
+    got = {r.doc_id: r for r in c.score(df, model).collect()}
+    for k, name in enumerate(WANTED):
+        share = []
+        for side in (0, 1):
+            count = np.ones(buckets)
+            for label in labels:
+                if label[k + 1] == side:
+                    count[own[label[0]]] += 1
+            share.append(count / count.sum())
+        ratio = np.log(share[1]) - np.log(share[0])
+        head = model.heads[k]
+        assert np.allclose(head.ratio, ratio, atol=1e-5)
+        for d, s in own.items():
+            margin = ratio[s] @ head.weight[s] / np.linalg.norm(ratio[s]) + head.bias
+            assert abs(got[d][f"{name}_score"] - margin) < 1e-4
+
+
 def test_features_are_distinct_indicators():
     for block in blocks(pa.array(["a b A b", "", None, "a"])):
         row, bucket = c.features(block)
