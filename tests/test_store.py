@@ -160,3 +160,30 @@ def test_a_store_that_has_no_json_form_leaves_the_old_file(spark, tmp_path):
     assert VectorStore.load_json(spark, path).rows.count() == 1
     VectorStore(spark).save_json(path)
     assert VectorStore.load_json(spark, path).rows.count() == 0
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_stored_vectors_stream_past_their_queries(spark, metric, capsys):
+    """No pair of blocks is a row, rough scores in float32 and in bytes lose no neighbour, and ties stay in order."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(int(metric))
+    v = rng.normal(size=(300, 9)) * 1e-2 + 40
+    v[100:140] = v[:40]
+    v[5], v[6, 0], v[7] = 0, NAN, v[7] * 1e200
+    q = v[:60]
+
+    def rows(kind, x):
+        return pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int32()), pa.array([kind] * len(x), pa.int32()), pa.array(range(len(x))), pa.array(list(x), pa.list_(pa.float64()))], ["cell", "kind", "id", "v"])
+
+    met = list(knn._closest(4, metric, 64, 500)([rows(0, q), rows(1, v)]))
+    got = knn._ranked(*(np.concatenate([b.column(c).to_numpy() for b in met]) for c in range(3)), 4, metric)
+    with np.errstate(all="ignore"):
+        score = knn._exact(np.repeat(q, 300, axis=0), np.tile(v, (60, 1)), metric)
+    want = knn._ranked(np.repeat(np.arange(60), 300), np.tile(np.arange(300), 60), score, 4, metric)
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want))
+    rows = spark.createDataFrame([(1, [1.0])], "query_id bigint, query array<double>")
+    knn.search_each(rows, rows.toDF("seq", "vector"), 1, metric).explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
