@@ -232,3 +232,32 @@ def test_tour_of_a_local_model(spark, capsys):
     show_alike(spark, OnnxEmbedder("counting", WordPiece(LETTERS), open=lambda name: Counting))
     out = capsys.readouterr().out
     assert "3 dimensions" in out and out.count("|") > 40
+
+
+def test_large_vocabulary_needs_no_join_of_words(spark, monkeypatch, capsys):
+    """Workers are told the texts' unknown words; a text's own words aren't shuffled, and vectors are those of the copy and the join."""
+    from vexel.operators import random_projection as rp
+
+    df = spark.createDataFrame([(1, "red green blue red"), (2, None), (3, ""), (4, "unseen red words only"), (5, "blue " * 500)], "n BIGINT, text STRING").repartition(3)
+    model = RandomProjection(40).fit(df.where("n <> 4"), order_col="n")
+    assert [r.token for r in model.vocabulary.orderBy("tok_idx").collect()] == ["red", "green", "blue"]
+    rows = lambda: sorted(map(str, model.embed(df).collect()))
+    copied = rows()
+    monkeypatch.setattr(rp, "SMALL", 0)
+    assert rows() == copied
+    capsys.readouterr()
+    model.embed(df.coalesce(1)).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(rp, "COPIED", 0)
+    assert rows() == copied
+
+
+@pytest.mark.parametrize("big", [0, 1 << 40])
+def test_words_are_numbered_by_hash_aggregates_where_order_fits_a_number(spark, big):
+    texts = [(3 + big, "c a b"), (-2, "z a"), (3 + big, "q c"), (1, "b b y")]
+    df = spark.createDataFrame(texts, "n BIGINT, text STRING").selectExpr("n", "concat(replace(text, ' ', 'x '), 'x') text").repartition(3)
+    place = RandomProjection._place(df, "n")
+    assert ("struct" in str(place)) is bool(big)
+    words = [r.token for r in RandomProjection(4).fit(df, order_col="n").vocabulary.orderBy("tok_idx").collect()]
+    assert words[:4] == ["zx", "ax", "bx", "yx"] and set(words[4:]) == {"cx", "qx"} and len(words) == 6

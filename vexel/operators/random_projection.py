@@ -7,8 +7,10 @@ factors cancel, so sums are of whole numbers and don't depend on partitioning. U
 words add nothing; a text without known words has the zero vector.
 
 Workers draw rows as they need them and sum whole texts in one pass. Which words count is
-told by a copy of the vocabulary where its size allows (``COPIED`` bytes), else by a join of
-words; the vectors are the same.
+told by a copy of a small vocabulary (``SMALL`` bytes), else by a copy of the texts' unknown
+words, which one pass over their distinct words finds (a text of the corpus has none), else by
+a copy of the larger vocabulary; where neither fits in ``COPIED`` bytes, by a join of words.
+The vectors are the same.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +32,15 @@ from vexel.sources import scratch
 SEED = 42
 VOCABULARY = "tok_idx BIGINT, token STRING, entries ARRAY<STRUCT<dim: INT, val: FLOAT>>"
 #: Bytes of words and signs that a worker may be given; cells that are summed at once.
-COPIED, CELLS = 64 << 20, 1 << 22
+SMALL, COPIED, CELLS = 1 << 20, 64 << 20, 1 << 22
+#: Words that are drawn and summed at once; a text isn't divided.
+WORDS = 1 << 18
 
 
 def signs(tokens: list[str], dims: int, seed: int) -> np.ndarray:
     """The words' rows: 16 bits of SHA-256 of seed, word and dimension // 16, modulo 6; 0 is minus, 1 is plus."""
+    if not tokens:
+        return np.zeros((0, dims), np.int8)
     parts = [f":{block}".encode() for block in range(-(-dims // 16))]
     raw = bytearray()
     for token in tokens:
@@ -85,6 +91,12 @@ def _unit(total: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
 
 
+def _few(words: DataFrame, each: int, most: int) -> pa.Array | None:
+    """The words, if they take most bytes or less, with so many more for each."""
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    return words.toArrow().column(0).combine_chunks() if n * each + size <= most else None
+
+
 class RandomProjection:
     def __init__(self, dims: int, seed: int = SEED) -> None:
         if dims < 1:
@@ -107,9 +119,12 @@ class RandomProjection:
         Words are sorted by ranges and numbered within them; the driver only adds up the
         ranges' sizes. The vocabulary is written once and read from then on.
         """
-        words = corpus.select(F.posexplode(tokenize(text_col)).alias("pos", "token")) if order_col is None else corpus.select(F.col(order_col).alias("at"), F.posexplode(tokenize(text_col)).alias("pos", "token"))
-        first = F.struct("token") if order_col is None else F.struct("at", "pos")
-        met = words.groupBy("token").agg(F.min(first).alias("first")).repartitionByRange("first").sortWithinPartitions("first")
+        if order_col is None:
+            met = corpus.select(F.explode(tokenize(text_col)).alias("token")).distinct().withColumn("first", F.col("token"))
+        else:
+            words = corpus.select(F.col(order_col).alias("at"), F.posexplode(tokenize(text_col)).alias("pos", "token"))
+            met = words.groupBy("token").agg(F.min(self._place(corpus, order_col)).alias("first"))
+        met = met.repartitionByRange("first").sortWithinPartitions("first")
         row = F.monotonically_increasing_id()
         ranged = scratch.kept(met.select("token", F.shiftright(row, 33).cast("int").alias("range"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "words")
         before, at = {}, 0
@@ -120,6 +135,16 @@ class RandomProjection:
         self.vocabulary = scratch.kept(numbered.mapInArrow(_draw(self._dims, self.seed, self.scale), VOCABULARY), "vocabulary")
         return self
 
+    @staticmethod
+    def _place(corpus: DataFrame, order_col: str) -> Column:
+        """Order of at and pos: one number where it fits, which Spark aggregates by hash, else both, which it must sort."""
+        if isinstance(corpus.schema[order_col].dataType, T.IntegralType):
+            at = F.col(order_col)
+            low, high, nulls = corpus.agg(F.min(at), F.max(at), F.count_if(at.isNull())).first()
+            if low is not None and not nulls and -(1 << 33) <= low and high < 1 << 33:  # a text has less than 2**30 words
+                return F.shiftleft(F.col("at").cast("bigint"), 30) + F.col("pos")
+        return F.struct("at", "pos")
+
     def _fitted(self) -> DataFrame:
         if self.vocabulary is None:
             raise ValueError("the projection isn't fitted")
@@ -128,17 +153,21 @@ class RandomProjection:
     def vocab_size(self) -> int:
         return self._fitted().count() if self.vocabulary is not None else 0
 
-    def _copied(self) -> pa.Array | None:
+    def _copied(self, most: int) -> pa.Array | None:
         """The vocabulary's words, if they and their rows are few enough for every worker."""
-        words = self._fitted().select("token")
-        n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
-        return words.toArrow().column(0).combine_chunks() if n * (self._dims + 8) + size <= COPIED else None
+        return _few(self._fitted().select("token"), self._dims + 8, most)
 
     def embed(self, texts: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-        """texts with a vector of doubles; a null text has the zero vector."""
+        """texts with a vector of doubles; a null text has the zero vector. Texts are read twice where the vocabulary isn't small."""
         dims, seed, columns = self._dims, self.seed, texts.columns
         schema = T.StructType([*texts.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-        words = self._copied()
+        words = self._copied(min(SMALL, COPIED))
+        if words is None:
+            met = texts.select(F.explode(tokenize(text_col)).alias("token"), F.lit(0).alias("known")).union(self._fitted().select("token", F.lit(1).alias("known")))
+            unknown = _few(scratch.kept(met.groupBy("token").agg(F.max("known").alias("known")).where("known = 0").select("token"), "unknown"), 8, COPIED)
+            if unknown is not None:
+                return self._embed_without(unknown, texts, text_col, schema)
+            words = self._copied(COPIED)
         if words is None:
             return self._embed_by_join(texts, text_col, schema)
         shared = texts.sparkSession.sparkContext.broadcast(words)  # COPIED bytes at most, with its rows
@@ -157,6 +186,33 @@ class RandomProjection:
         tokens = scratch.free_name(columns, "tokens")
         return texts.withColumn(tokens, tokenize(text_col)).mapInArrow(run, schema)
 
+    def _embed_without(self, unknown: pa.Array, texts: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
+        """All words count but the unknown ones; workers draw rows for the words they meet."""
+        dims, seed, columns = self._dims, self.seed, texts.columns
+        shared = texts.sparkSession.sparkContext.broadcast(unknown)  # COPIED bytes at most
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            strange = shared.value
+            for batch in batches:
+                lists = batch.column(len(columns))
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+                first = 0
+                while first < len(ends):
+                    limit = WORDS + (ends[first - 1] if first else 0)
+                    stop = max(first + 1, int(np.searchsorted(ends, limit, "right")))
+                    own = lists.slice(first, stop - first)
+                    count = own.value_lengths().fill_null(0).to_numpy()
+                    words = own.flatten().dictionary_encode()
+                    matrix = signs(words.dictionary.to_pylist(), dims, seed)
+                    if len(strange):
+                        matrix[pc.is_in(words.dictionary, strange).to_numpy(zero_copy_only=False)] = 0
+                    total = _total(matrix, words.indices.to_numpy(), None, np.repeat(np.arange(len(count)), count), len(count))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, stop - first) for c in batch.columns[:-1]), _unit(total)], schema.names)
+                    first = stop
+
+        tokens = scratch.free_name(columns, "tokens")
+        return texts.withColumn(tokens, tokenize(text_col)).mapInArrow(run, schema)
+
     def _embed_by_join(self, texts: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
         """Rows are numbered, their words joined with the vocabulary and gathered again by number."""
         dims, seed, columns = self._dims, self.seed, texts.columns
