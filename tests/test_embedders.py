@@ -261,3 +261,37 @@ def test_words_are_numbered_by_hash_aggregates_where_order_fits_a_number(spark,
     assert ("struct" in str(place)) is bool(big)
     words = [r.token for r in RandomProjection(4).fit(df, order_col="n").vocabulary.orderBy("tok_idx").collect()]
     assert words[:4] == ["zx", "ax", "bx", "yx"] and set(words[4:]) == {"cx", "qx"} and len(words) == 6
+
+
+def test_wordpiece_holds_little_of_a_batch():
+    """Long texts are split piece by piece, only as far as ids are asked for; words remembered are few and short; ids stay the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from vexel.operators import wordpiece
+
+    class Seen(WordPiece):
+        longest = 0
+
+        def split(self, text):
+            Seen.longest = max(Seen.longest, len(text))
+            return super().split(text)
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("thecatrun.s É日İΣ́") for _ in range(rng.randrange(1, 60))) for _ in range(rng.choice([0, 3, 900]))) for _ in range(60)]
+    w = Seen(VOCAB)
+    for max_len in (5, 256, 10**6):
+        got = w.encode_array(pa.array([*texts, None]), max_len).to_pylist()
+        for text, ids in zip(texts, got):
+            whole = [i for word in WordPiece(VOCAB).split(text) if word for i in w.pieces(word)]
+            assert ids == [2, *whole[: max_len - 2], 3]
+        assert got[-1] is None and len(got) == 61
+    assert Seen.longest < 2 * wordpiece.PIECE
+    assert len(w._known) <= wordpiece.REMEMBERED and max(map(len, w._known)) <= wordpiece.SHORT
+    batch = pa.array(["the cat " * 10_000] * 400)  # 32 MB
+    tracemalloc.start()
+    w.encode_array(batch, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
