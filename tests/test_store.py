@@ -187,3 +187,26 @@ def test_stored_vectors_stream_past_their_queries(spark, metric, capsys):
     knn.search_each(rows, rows.toDF("seq", "vector"), 1, metric).explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_json_is_read_by_many_tasks(spark, tmp_path):
+    """A file as it is saved is split; ids with quotes and vectors of any length come back in order, and other layouts are read whole."""
+    path = f"{tmp_path}/s.json"
+    rows = [(f'i,"{i}",\n é],', [float(i), 0.1] * (i % 3)) for i in range(500)]
+    VectorStore(spark, Metric.MANHATTAN).add(rows).save_json(path)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        again = VectorStore.load_json(spark, path)
+        got = [(r.seq, r.id, r.vector) for r in again.rows.orderBy("seq").collect()]
+        tasks = spark.read.text(path).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert again.metric is Metric.MANHATTAN and tasks > 3
+    assert [(n, i) for n, i, _ in got] == [(n, i) for n, (i, _) in enumerate(rows)]
+    assert all(v == pytest.approx(w) for (_, _, v), (_, w) in zip(got, rows))
+    assert "Generate" not in again.rows._jdf.queryExecution().toString()  # not one row of the whole file
+    for text in ('{"Vectors": [[1.0],[2.0]], "IDs": ["a","b"], "Metric": 1}', json.dumps({"Vectors": [[1.0], [2.0]], "IDs": ["a", "b"], "Metric": 1}, indent=2)):
+        (tmp_path / "o.json").write_text(text)
+        other = VectorStore.load_json(spark, f"{tmp_path}/o.json")
+        assert [(r.id, r.vector) for r in other.rows.orderBy("seq").collect()] == [("a", [1.0]), ("b", [2.0])]
